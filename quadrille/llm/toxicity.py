@@ -2,9 +2,9 @@
 
 A word is the mean of the vectors of itself and of its byte n-grams (hashed into
 ``BUCKETS`` rows), so an unseen misspelling shares most of its vectors with the
-word it comes from. A window of ``WINDOW`` words is the mean of its words; a
-linear softmax scores it, and a text scores as its worst window, so that a few
-words weigh the same in a long text as in a short one. Embeddings start along
+word it comes from. A window of ``WINDOW`` words (one, as registered) is the
+mean of its words; a linear softmax scores it, and a text scores as its worst
+window, so that a few words weigh the same in a long text as in a short one. Embeddings start along
 the softmax's direction in proportion to their buckets' smoothed log odds, and
 are then trained together with the softmax on each text's worst window, by
 AdaGrad with a fixed seed, so reruns agree.
@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 from quadrille.llm.bpe import Memo
 from quadrille.storage import bounded_batches
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 DIMENSIONS = 8
-NGRAMS = (3, 4)
-WINDOW = 4
-STRIDE = 2
+NGRAMS = (3, 5, 7)
+WINDOW = 1
+STRIDE = 1
 #: Training reads at most about this many labelled rows, drawn by a hash of the id,
 #: of texts up to FIT_CHARS characters: the model's bounds. Scoring has none.
 FIT_ROWS = 4_000
