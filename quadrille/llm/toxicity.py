@@ -18,6 +18,7 @@ table.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -70,15 +71,24 @@ class Bags:
     def __init__(self, texts: list[str | None]):
         number: dict[str, int] = {}
         self.docs = [np.array([number.setdefault(w, len(number)) for w in (t or "").split()], np.int64) for t in texts]
-        lists = [features(w) for w in number]
-        self.sizes = np.array([len(x) for x in lists], np.int64)
+        flat, sizes = array("i"), array("i")
+        for w in number:
+            found = features(w)
+            flat.extend(found)
+            sizes.append(len(found))
+        self.sizes = np.array(sizes, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.flat = np.array([f for x in lists for f in x], np.int64)
+        self.flat = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
 
     def word_scores(self, s: np.ndarray) -> np.ndarray:
         """Mean of ``s`` over each word's features."""
-        total = np.concatenate([[0.0], np.cumsum(s[self.flat])])
-        return (total[self.starts[1:]] - total[self.starts[:-1]]) / np.maximum(self.sizes, 1)
+        out = np.empty(len(self.sizes))
+        for a in range(0, len(out), 1 << 16):
+            b = min(len(out), a + (1 << 16))
+            at = self.starts[a : b + 1]
+            total = np.concatenate([[0.0], np.cumsum(s[self.flat[at[0] : at[-1]]])])
+            out[a:b] = total[at[1:] - at[0]] - total[at[:-1] - at[0]]
+        return out / np.maximum(self.sizes, 1)
 
     def expand(self, words: np.ndarray) -> np.ndarray:
         """Places in ``flat`` of the words' features, word after word."""
