@@ -88,6 +88,9 @@ def _make(bits: pd.Series) -> pd.Series:
     return pd.Series(_rows(lambda b: generate_key(int(b)), bits), dtype="object")
 
 
+_make = _make.asNondeterministic()  # drawn once for each row, however often it is used
+
+
 def _keylength(s: Val) -> Val:
     i = _length(s.lex()).cast("decimal(38,0)")
     return Num(0, i.cast("double"), i.cast("decimal(38,18)"), i).val()

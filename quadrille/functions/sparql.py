@@ -26,6 +26,8 @@ def ebv(v: Val) -> Column:
         return v.col != 0
     if v.kind == "double":
         return (v.col != 0) & ~F.isnan(v.col)
+    if v.kind == "num":
+        return (v.number.d != 0) & ~F.isnan(v.number.d)
     if v.kind != "key":
         return null("boolean")
     lex, dt = terms.string_of(v.col), terms.datatype_of(v.col)
@@ -43,6 +45,8 @@ class _Parts:
     def __init__(self, v: Val):
         if v.kind in ("int", "decimal", "double"):
             self.group, self.number, self.moment, self.text = F.lit("n"), v.double(), null("double"), v.lex()
+        elif v.kind == "num":
+            self.group, self.number, self.moment, self.text = F.when(v.number.rank.isNotNull(), "n"), v.number.d, null("double"), null()
         elif v.kind == "string":
             self.group, self.number, self.moment, self.text = F.lit("s"), null("double"), null("double"), v.col
         elif v.kind == "bool":
@@ -62,7 +66,7 @@ class _Parts:
             self.number = F.when(num, lex.try_cast("double")).when(dt == N.BOOLEAN, lex.isin("true", "1").cast("double"))
             self.moment = F.when(dt.isin(*_ORDERED), instant(lex))
             self.text = F.coalesce(lex, k)
-        self.key = v.key()
+        self.key = v.key() if v.kind != "num" else null()
 
 
 def equals(a: Val, b: Val) -> Column:
@@ -72,6 +76,8 @@ def equals(a: Val, b: Val) -> Column:
     if {a.kind, b.kind} <= {"int", "decimal", "double"}:
         return a.double() == b.double() if a.kind != b.kind or a.kind == "double" else a.col == b.col
     x, y = _Parts(a), _Parts(b)
+    if "num" in (a.kind, b.kind):  # text cannot tell more than the numbers do
+        return F.when((x.group == "n") & (y.group == "n"), x.number == y.number).when(x.group.isNotNull() & y.group.isNotNull(), F.lit(False))
     known = F.when(x.key == y.key, True)
     alike = x.group == y.group
     return (

@@ -43,21 +43,32 @@ def unfold_lists(quads: DataFrame) -> DataFrame:
 def fold_lists(quads: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """Quads with chains of cells that end in nil replaced by list terms, and owl:oneOf lists by sets.
 
-    A round folds one more cell of every chain, so rounds follow the longest list.
+    A round folds one more cell of every chain whose inner lists are folded, so
+    rounds follow the longest list.
     Cells with more than one first or rest are left alone.
     """
     first = quads.where(F.col("p") == N.FIRST).groupBy("g", "s").agg(F.min("o").alias("first"), F.count_distinct("o").alias("n1"))
     rest = quads.where(F.col("p") == N.REST).groupBy("g", "s").agg(F.min("o").alias("rest"), F.count_distinct("o").alias("n2"))
-    cells = materialize(first.join(rest, ["g", "s"]).where("n1 = 1 and n2 = 1 and s like '\\_:%'").select("g", "s", "first", "rest"), "cells")
+    nil = lambda c: F.when(F.col(c) == N.NIL, "[]").otherwise(F.col(c))
+    cells = first.join(rest, ["g", "s"]).where("n1 = 1 and n2 = 1 and s like '\\_:%'").select("g", "s", nil("first").alias("first"), nil("rest").alias("rest"))
+    cells = materialize(cells, "cells")
+    inner = cells.select("g", F.col("s").alias("first"), F.lit(True).alias("nested"))
+    cells = materialize(cells.join(inner, ["g", "first"], "left"), "cells")
     known = None
-    now = cells.where(F.col("rest").isin(N.NIL, "[]")).select("g", "s", terms.list_key(F.array("first")).alias("list"))
     for _ in range(max_rounds):
-        now = materialize(now, "folded")
-        if now.isEmpty():
+        empty = cells.select("g", F.lit("[]").alias("node"), F.lit("[]").alias("list")).limit(0)
+        done = empty if known is None else known.select("g", F.col("s").alias("node"), "list")
+        todo = cells if known is None else cells.join(known.select("g", "s"), ["g", "s"], "left_anti")
+        tails = done.select("g", F.col("node").alias("rest"), F.col("list").alias("tail"))
+        heads = done.select("g", F.col("node").alias("first"), F.col("list").alias("head"))
+        joined = todo.join(tails, ["g", "rest"], "left").join(heads, ["g", "first"], "left")
+        tail = F.when(F.col("rest") == "[]", "[]").otherwise(F.col("tail"))
+        head = F.when(F.col("nested"), F.col("head")).otherwise(F.col("first"))
+        ready = joined.select("g", "s", terms.list_key(F.concat(F.array(head), terms.items_of(tail))).alias("list")).where("list is not null")
+        ready = materialize(ready, "folded")
+        if ready.isEmpty():
             break
-        known = now if known is None else known.unionByName(now)
-        longer = cells.join(now.withColumnRenamed("s", "rest"), ["g", "rest"])
-        now = longer.select("g", "s", terms.list_key(F.concat(F.array("first"), terms.items_of(F.col("list")))).alias("list"))
+        known = ready if known is None else known.unionByName(ready)
     if known is None:
         return _nil(quads)
     used = known.select("g", F.col("s").alias("node"), "list")

@@ -79,6 +79,8 @@ def store(df: DataFrame, val: Val) -> tuple[DataFrame, Val]:
         return df, Val.list_of(items)
     if val.const is not None:
         return df, val
+    if val.kind == "num":
+        val = Val("key", val.key())
     name = _name()
     return df.withColumn(name, val.col), Val(val.kind, F.col(name), val.table)
 

@@ -428,7 +428,7 @@ class Evaluator:
             if uri in _CASTS:
                 n = v.num()
                 if uri == N.INTEGER:
-                    i = F.coalesce(n.i, n.d.try_cast("decimal(38,0)"))
+                    i = F.coalesce(n.i, n.d.try_cast("bigint").cast("decimal(38,0)"))
                     return Num(0, i.cast("double"), i.cast("decimal(38,18)"), i).val()
                 return Num(1, n.d, n.d.cast("decimal(38,18)")).val() if uri == N.DECIMAL else Num(2, n.d).val()
             if uri == N.XSD + "string":

@@ -5,7 +5,8 @@ says how to read it. Table columns keep their native type until a term key is
 needed, so joins and filters on them stay native and reach the scan.
 
 Kinds: key (a term key), string, int, decimal, double, bool, time, array (of
-doubles or strings), row (a table's row, named by its key column).
+doubles or strings), row (a table's row, named by its key column), num (a number
+whose type differs by row; a term key once it is stored).
 """
 
 from __future__ import annotations
@@ -46,7 +47,10 @@ class Num:
         """The number as a term."""
         if isinstance(self.rank, int):
             return (Val("int", self.i), Val("decimal", self.n), Val("double", self.d))[self.rank]
-        return Val("key", F.when(self.rank == 0, int_key(self.i)).when(self.rank == 1, decimal_key(self.n)).otherwise(double_key(self.d)))
+        return Val("num", number=self)
+
+    def key(self) -> Column:
+        return F.when(self.rank == 0, int_key(self.i)).when(self.rank == 1, decimal_key(self.n)).when(self.rank == 2, double_key(self.d))
 
     @staticmethod
     def fold(nums: list[Num], op, start: int) -> Num:
@@ -95,14 +99,16 @@ def lexical_number(lex: Column, dt: Column | None = None) -> Num:
 
 
 class Val:
-    def __init__(self, kind: str, col: Column | None = None, table: str = "", items: list[Val] | None = None, const: str | None = None):
-        self.kind, self._col, self.table, self.items, self.const = kind, col, table, items, const
+    def __init__(self, kind: str, col: Column | None = None, table: str = "", items: list[Val] | None = None, const: str | None = None, number: Num | None = None):
+        self.kind, self._col, self.table, self.items, self.const, self.number = kind, col, table, items, const, number
 
     @property
     def col(self) -> Column:
         """The column; a constant's is made when asked for, as columns need a session."""
         if self._col is None and self.const is not None:
             self._col = F.lit(self.const)
+        if self._col is None and self.number is not None:
+            self._col = self.number.key()
         return self._col
 
     # constructors
@@ -185,10 +191,15 @@ class Val:
             return time_text(self.col)
         if self.kind in ("row", "array", "list"):
             return null()
+        if self.kind == "num":
+            x = self.number
+            return F.when(x.rank == 0, x.i.cast("string")).when(x.rank == 1, decimal_text(x.n)).when(x.rank == 2, x.d.cast("string"))
         return terms.string_of(self.col)
 
     def num(self) -> Num:
         """The number, or nulls."""
+        if self.number is not None:
+            return self.number
         if self.const is not None:
             if terms.kind(self.const) != "literal":
                 return Num(0, null("double"))
@@ -223,7 +234,7 @@ class Val:
         """The value as a float, whatever its type; null for what is no number."""
         if self.kind in ("double", "int", "decimal"):
             return self.col.cast("double")
-        if self.const is not None:
+        if self.const is not None or self.number is not None:
             return self.num().d
         return F.trim(self.lex()).try_cast("double")
 
