@@ -465,7 +465,7 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
     ),
     "b_log": (
         cells("customer", k=lambda r: r["c_custkey"].col, eq=lambda r: named("log:equalTo").test(r["c_mktsegment"], txt("BUILDING")), ne=lambda r: named("log:notEqualTo").test(r["c_mktsegment"], txt("BUILDING")), uri=lambda r: named("log:uri").forward(Val("row", F.col("c_custkey"), table="customer")), back=key(lambda r: named("log:uri").reverse(Val.text(F.concat(F.lit("urn:x#"), r["c_name"].col)))), none=key(_r("log:uri", "c_mktsegment")), raw=lambda r: named("log:rawUri").forward(Val("row", F.col("c_custkey"), table="customer")), kind=key(_f("log:rawType", "c_name")), racine=key(lambda r: named("log:racine").forward(Val("key", terms.iri_key(F.concat(F.lit("urn:x#"), r["c_name"].col))))), dt=key(lambda r: named("log:dtlit").forward(_keys(r["c_name"], Val.constant(f"<{N.XSD}token>"))))),
-        """select c_custkey as k, c_mktsegment = 'BUILDING' as eq, c_mktsegment <> 'BUILDING' as ne, 'table:customer/' || c_custkey as uri, '<urn:x#' || c_name || '>' as back, null::varchar as none, 'table:customer/' || c_custkey as raw, '<http://www.w3.org/2000/10/swap/log#Literal>' as kind, '<urn:x>' as racine, '"' || c_name || '"^^<http://www.w3.org/2001/XMLSchema#token>' as dt from customer""",
+        f"""select c_custkey as k, c_mktsegment = 'BUILDING' as eq, c_mktsegment <> 'BUILDING' as ne, 'table:customer/' || c_custkey as uri, '<urn:x#' || c_name || '>' as back, null::varchar as none, 'table:customer/' || c_custkey as raw, '<{N.LOG}Literal>' as kind, '<urn:x>' as racine, '"' || c_name || '"^^<http://www.w3.org/2001/XMLSchema#token>' as dt from customer""",
     ),
     "b_sparql": (
         cells("orders", k=lambda r: r["o_orderkey"].col, eq=_t("sparql:equals", "o_totalprice", num(1)), ne=_t("sparql:notEquals", "o_orderstatus", txt("F")), lt=_t("sparql:lessThan", "o_totalprice", num(100000)), gt=_t("sparql:greaterThan", "o_totalprice", num(100000)), ngt=_t("sparql:notGreaterThan", "o_orderpriority", txt("3")), nlt=_t("sparql:notLessThan", "o_orderpriority", txt("3")), mixed=_t("sparql:lessThan", "o_orderpriority", num(3)), tv=lambda r: named("sparql:truthValue").test(r["o_orderstatus"], Val("bool", F.lit(True))), te=lambda r: named("sparql:typeErrorIsTrue").test(Val("row", F.col("o_orderkey"), table="orders"), Val("bool", F.lit(True))), dt=key(lambda r: named("sparql:dtLit").reverse(r["o_orderkey"]).items[1]), lang=lambda r: named("sparql:langLit").reverse(r["o_orderstatus"]).items[1].col),

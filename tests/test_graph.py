@@ -2,6 +2,7 @@
 
 import pytest
 
+from quadrille import names as N
 from quadrille.__main__ import run
 from quadrille.graph import Graph, Namespace
 from quadrille.plans.rules import rules_of
@@ -33,7 +34,7 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "d.n3").write_text(DATA)
     (tmp_path / "r.n3").write_text(RULE)
     (tmp_path / "q.rq").write_text("PREFIX : <urn:t#> SELECT ?x WHERE { ?x :p ?y }")
-    (tmp_path / "s.n3").write_text('@prefix : <urn:t#>. @prefix log: <http://www.w3.org/2000/10/swap/log#>. { ?x :q ?v } => { ?x log:outputString "found" }.')
+    (tmp_path / "s.n3").write_text(f'@prefix : <urn:t#>. @prefix log: <{N.LOG}>. {{ ?x :q ?v }} => {{ ?x log:outputString "found" }}.')
     d, r, q, s = (str(tmp_path / f) for f in ("d.n3", "r.n3", "q.rq", "s.n3"))
     assert run(spark, [d, f"--filter={r}", "--ntriples"]).count("\n") == 3
     assert run(spark, [d, f"--think={r}", "--size"]) == "7" and run(spark, [d, f"--think={r}", f"--filter={s}", "--strings"]) == "found"
