@@ -2,7 +2,9 @@
 
 A word is the mean of the vectors of itself and of its byte n-grams (hashed into
 ``BUCKETS`` rows), so an unseen misspelling shares most of its vectors with the
-word it comes from. A window of ``WINDOW`` words (one, as registered) is the
+word it comes from. Words are what Unicode white space separates; a run of over
+``LONG`` bytes (a script without spaces, words joined by signs) is read as words
+of ``PIECE`` bytes that overlap and cover all of it. A window of ``WINDOW`` words (one, as registered) is the
 mean of its words; a linear softmax scores it, and a text scores as its worst
 window, so that a few words weigh the same in a long text as in a short one. Embeddings start along
 the softmax's direction in proportion to their buckets' smoothed log odds, and
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -41,18 +44,31 @@ STRIDE = 1
 #: of texts up to FIT_CHARS characters: the model's bounds. Scoring has none.
 FIT_ROWS = 4_000
 FIT_CHARS = 200_000
+#: Bytes of the longest word read as one; longer runs are pieces of PIECE bytes, one every STEP, so each n-gram is whole in one.
+LONG, PIECE, STEP = 256, 48, 32
 THRESHOLD = 0.7
 #: Means are multiplied by this before the softmax, so that one word of a window can decide.
 SCALE = 4.0
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word: the whole word and its byte n-grams, edges marked."""
+def split_words(texts: pa.Array) -> pa.Array:
+    """Lists of words, for training and scoring alike."""
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts.cast(pa.large_string()).fill_null("")))
+
+
+def pieces(word: str) -> list[bytes]:
+    """The word with its edges marked, or the pieces of a run of over LONG bytes."""
     b = b"<" + word.lower().strip(_STRIP).encode("utf-8", "surrogatepass") + b">"
-    if len(b) == 2:
+    if len(b) <= LONG:
+        return [b]
+    return [b[i : i + PIECE] for i in range(0, len(b) - PIECE + STEP, STEP)]
+
+
+def features(b: bytes) -> list[int]:
+    """Buckets of a piece: the whole of it and its byte n-grams."""
+    if b == b"<>":
         return []
-    b = b[:256]
     found = [crc32(b) % BUCKETS]
     for n in NGRAMS:
         found += [crc32(b[i : i + n]) % BUCKETS for i in range(len(b) - n + 1)]
@@ -69,11 +85,15 @@ class Bags:
     """Texts as word numbers, words as feature lists (CSR), for training."""
 
     def __init__(self, texts: list[str | None]):
-        number: dict[str, int] = {}
-        self.docs = [np.array([number.setdefault(w, len(number)) for w in (t or "").split()], np.int64) for t in texts]
+        number: dict[str | bytes, int] = {}
+        self.docs = []
+        for t in texts:
+            words = split_words(pa.array([t], pa.large_string())).flatten().to_pylist()
+            units = chain.from_iterable([w] if len(w) * 4 + 2 <= LONG else pieces(w) for w in words)
+            self.docs.append(np.array([number.setdefault(u, len(number)) for u in units], np.int64))
         flat, sizes = array("i"), array("i")
-        for w in number:
-            found = features(w)
+        for u in number:
+            found = features(u if isinstance(u, bytes) else pieces(u)[0])
             flat.extend(found)
             sizes.append(len(found))
         self.sizes = np.array(sizes, np.int64)
@@ -170,20 +190,33 @@ class Scorer:
         self.bias, self.trained = model.bias, model.trained
         self.words = Memo(self._word, 600_000)
 
-    def _word(self, word: str) -> float:
-        found = features(word)
+    def _word(self, word: str) -> float | list[float]:
+        """The word's score; of a run of over LONG bytes, those of its pieces."""
+        found = [self._piece(b) for b in pieces(word)]
+        return found[0] if len(found) == 1 else found
+
+    def _piece(self, b: bytes) -> float:
+        found = features(b)
         return sum(map(self.table.__getitem__, found)) / len(found) if found else 0.0
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if not self.trained:
             return np.zeros(len(texts))
-        words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.cast(pa.large_string()).fill_null("")))
+        words = split_words(texts)
         cuts = words.offsets.to_numpy()
+        cuts = cuts - cuts[0]
         coded = words.flatten().dictionary_encode()
-        value = np.fromiter(map(self.words.__getitem__, coded.dictionary.to_pylist()), np.float64, len(coded.dictionary))
-        sums = np.concatenate([[0.0], np.cumsum(value[coded.indices.to_numpy()])])
+        each = [self.words[w] for w in coded.dictionary.to_pylist()]
+        value = np.array([v for x in each for v in (x if isinstance(x, list) else (x,))], np.float64)
+        at = coded.indices.to_numpy()
+        if len(value) > len(each):  # each long run is replaced by its pieces
+            sizes = np.array([len(x) if isinstance(x, list) else 1 for x in each])
+            firsts, n = np.cumsum(sizes) - sizes, sizes[at]
+            ends = np.cumsum(n)
+            at = np.repeat(firsts[at] - (ends - n), n) + np.arange(n.sum())
+            cuts = np.concatenate([[0], ends])[cuts]
+        sums = np.concatenate([[0.0], np.cumsum(value[at])])
         best = np.zeros(len(texts))
-        cuts = cuts - cuts[0]
         for i, (a, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             if e > a:
                 starts, ends = _windows(e - a)

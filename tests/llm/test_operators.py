@@ -311,6 +311,32 @@ def test_toxicity_odd(spark, odd):
     assert len(rows) == len(ODD)
 
 
+def test_toxicity_reads_runs_to_their_end():
+    """Words joined by signs or by wide blanks, and scripts without spaces, are read beyond their first bytes."""
+    clean, bad = "the quiet garden path leads over a hill", "vilescum hatefiend"
+    han, slur = "今天天气很好我们去公园散步然后回家吃饭", "恶毒辱骂词语"
+    texts = [clean, f"{clean} {bad}", han * 20, han * 20 + slur + han] * 20
+    scorer = toxicity.Scorer(toxicity.train(texts, [0, 1, 0, 1] * 20))
+    score = lambda *t: scorer.score(pa.array(t)).tolist()
+    for sign in ("_", ",", "%20"):
+        a, b = (sign.join(t.split()) for t in (f"{clean} " * 30, f"{clean} " * 30 + bad + f" {clean}" * 30))
+        a, b = score(a, b)
+        assert b > a
+    a, b = score(han * 40, han * 30 + slur + han * 10)
+    assert a < toxicity.THRESHOLD <= b
+    for blank in ("\u00a0", "\u3000"):
+        spaced = f"{clean} " * 30 + bad
+        assert score(spaced.replace(" ", blank)) == score(spaced)
+        assert toxicity.Bags([spaced.replace(" ", blank)]).docs[0].tolist() == toxicity.Bags([spaced]).docs[0].tolist()
+    run = "x" * 5000 + "日本" * 500
+    found = toxicity.pieces(run)
+    whole = b"<" + run.encode() + b">"
+    for n in toxicity.NGRAMS:
+        assert {whole[i : i + n] for i in range(len(whole) - n + 1)} == {p[i : i + n] for p in found for i in range(len(p) - n + 1)}
+    mixed = [f"{clean} {run} {bad}", "", run, None, clean]
+    assert score(*mixed) == [score(t)[0] if t is not None else score("")[0] for t in mixed]
+
+
 def test_language_held_out(spark, docs, odd):
     d = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{d}/documents.parquet")
