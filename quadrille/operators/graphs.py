@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille import names as N
@@ -46,19 +46,20 @@ def smush(quads: DataFrame, same: str = N.SAME_AS) -> DataFrame:
 # --- canonical names -------------------------------------------------------------------------------------------------
 
 
-def canonical_bnodes(quads: DataFrame, rounds: int = 8) -> DataFrame:
-    """Quads with blank nodes renamed by signature: colours refined from their statements.
+def _is_blank(c: str) -> Column:
+    return F.col(c).startswith("_:")
+
+
+def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names, rows with names) of quads with a column side: colours refined until no class splits.
 
-    Distributed colour refinement; nodes that ``rounds`` rounds cannot tell apart
-    get one name, so use ``quadrille.plans.formula.canonical_triples`` where
-    symmetric nodes matter.
+    Sides share no node and are refined together, so their colours compare.
+    names has side, x, its name y, and whether it is tied with another node of its side.
     """
-    rows = materialize(quads.distinct(), "canonical")
-    is_blank = lambda c: F.col(c).startswith("_:")
-    nodes = rows.select(F.explode(F.array("s", "o")).alias("x")).where(is_blank("x")).distinct()
-    colour = nodes.select("x", F.lit("_").alias("c"))
+    nodes = rows.select("side", F.explode(F.array("s", "o")).alias("x")).where(_is_blank("x")).distinct()
+    colour = nodes.select("side", "x", F.lit("_").alias("c"))
     kept = -1
-    for _ in range(rounds):
+    while True:
         colour = materialize(colour, "colours")
         n = colour.select("c").distinct().count()
         if n == kept:
@@ -66,27 +67,56 @@ def canonical_bnodes(quads: DataFrame, rounds: int = 8) -> DataFrame:
         kept = n
         shown = rows
         for k in ("s", "o"):
-            m = colour.select(F.col("x").alias(k), F.col("c").alias(f"{k}c"))
-            shown = shown.join(m, k, "left").withColumn(f"{k}c", F.coalesce(f"{k}c", k))
-        out_side = shown.where(is_blank("s")).select(F.col("s").alias("x"), F.sha2(F.concat_ws("\u0001", F.lit(">"), "g", "p", F.when(F.col("s") == F.col("o"), "*").otherwise(F.col("oc"))), 256).alias("h"))
-        in_side = shown.where(is_blank("o")).select(F.col("o").alias("x"), F.sha2(F.concat_ws("\u0001", F.lit("<"), "g", "p", F.when(F.col("s") == F.col("o"), "*").otherwise(F.col("sc"))), 256).alias("h"))
+            m = colour.select("side", F.col("x").alias(k), F.col("c").alias(f"{k}c"))
+            shown = shown.join(m, ["side", k], "left").withColumn(f"{k}c", F.coalesce(f"{k}c", k))
+        out_side = shown.where(_is_blank("s")).select("side", F.col("s").alias("x"), F.sha2(F.concat_ws("\u0001", F.lit(">"), "g", "p", F.when(F.col("s") == F.col("o"), "*").otherwise(F.col("oc"))), 256).alias("h"))
+        in_side = shown.where(_is_blank("o")).select("side", F.col("o").alias("x"), F.sha2(F.concat_ws("\u0001", F.lit("<"), "g", "p", F.when(F.col("s") == F.col("o"), "*").otherwise(F.col("sc"))), 256).alias("h"))
         # a sum of hashes does not depend on order and combines before the shuffle
         sums = out_side.unionByName(in_side).withColumn("n", F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)"))
-        sums = sums.groupBy("x").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
-        colour = sums.join(colour, "x").select("x", F.substring(F.sha2(F.concat_ws("|", "c", F.col("n").cast("string"), F.col("k").cast("string")), 256), 1, 24).alias("c"))
-    names = materialize(colour, "colours").select("x", F.concat(F.lit("_:c"), "c").alias("y"))
+        sums = sums.groupBy("side", "x").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+        colour = sums.join(colour, ["side", "x"]).select("side", "x", F.substring(F.sha2(F.concat_ws("|", "c", F.col("n").cast("string"), F.col("k").cast("string")), 256), 1, 24).alias("c"))
+    place = F.row_number().over(Window.partitionBy("side", "c").orderBy("x"))
+    tied = colour.groupBy("side", "c").agg((F.count("*") > 1).alias("tied"))
+    names = colour.withColumn("place", place).join(tied, ["side", "c"])
+    y = F.concat(F.lit("_:c"), "c", F.when(F.col("place") > 1, F.concat(F.lit("_"), "place")).otherwise(""))
+    names = materialize(names.select("side", "x", y.alias("y"), "tied"), "names")
     out = rows
     for k in ("s", "o"):
-        out = out.join(names.select(F.col("x").alias(k), F.col("y").alias("__y")), k, "left").withColumn(k, F.coalesce("__y", k)).drop("__y")
-    return out.select(*KEY).distinct()
+        out = out.join(names.select("side", F.col("x").alias(k), F.col("y").alias("__y")), ["side", k], "left").withColumn(k, F.coalesce("__y", k)).drop("__y")
+    return names, out
+
+
+def canonical_bnodes(quads: DataFrame) -> DataFrame:
+    """Quads with blank nodes renamed by signature: colours refined from their statements.
+
+    Distributed colour refinement until no class splits; a chain of n blank
+    nodes takes about n / 2 rounds. Nodes that stay equal are numbered inside
+    their colour in the order of their old names, so none are merged; use
+    ``quadrille.plans.formula.canonical_triples`` where symmetric nodes matter.
+    """
+    rows = materialize(quads.select(*KEY).distinct().withColumn("side", F.lit(0)), "canonical")
+    return _named(rows)[1].select(*KEY)
 
 
 # --- diff and patch --------------------------------------------------------------------------------------------------
 
 
 def difference(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(deleted, inserted): what only a has, and what only b has, up to blank node names."""
-    a, b = canonical_bnodes(a), canonical_bnodes(b)
+    """(deleted, inserted): what only a has, and what only b has, up to blank node names.
+
+    Copies of a node are counted. Nodes that colours cannot tell apart are
+    refused if a statement links two of them, as their pairing is then open.
+    """
+    sides = [d.select(*KEY).distinct().withColumn("side", F.lit(i)) for i, d in enumerate((a, b))]
+    rows = materialize(sides[0].unionByName(sides[1]), "canonical")
+    names, out = _named(rows)
+    tied = names.where("tied").select("side", "x")
+    linked = rows.where(F.col("s") != F.col("o"))
+    for k in ("s", "o"):
+        linked = linked.join(tied.withColumnRenamed("x", k), ["side", k], "left_semi")
+    if not linked.isEmpty():
+        raise ValueError("blank nodes that are linked cannot be told apart: name them first")
+    a, b = (out.where(F.col("side") == i).select(*KEY) for i in (0, 1))
     return a.join(b, KEY, "left_anti"), b.join(a, KEY, "left_anti")
 
 

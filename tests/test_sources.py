@@ -157,6 +157,25 @@ def test_patch_and_difference(spark):
     assert spo(G.patch(Dataset(spark, a), G.patch_formula(a, b)).quads) == spo(b)
 
 
+def test_canonical_names_of_chains_and_copies(spark):
+    chain = lambda n: quads(spark, *((f"_:{i}", t("p"), f"_:{i + 1}") for i in range(n - 1)))
+    long = chain(24)
+    assert G.canonical_bnodes(long).distinct().count() == 23
+    gone, new = G.difference(long, chain(25))
+    assert (gone.count(), new.count()) == (23, 24)
+    renamed = quads(spark, *((f"_:n{(i * 7) % 24}", t("p"), f"_:n{((i + 1) * 7) % 24}") for i in range(23)))
+    gone, new = G.difference(long, renamed)
+    assert gone.isEmpty() and new.isEmpty()
+    copies = lambda n: quads(spark, *((f"_:{i}", t("p"), t("a")) for i in range(n)))
+    assert G.canonical_bnodes(copies(3)).distinct().count() == 3
+    gone, new = G.difference(copies(3), copies(2))
+    assert (gone.count(), new.count()) == (1, 0)
+    pairs = quads(spark, ("_:a", t("p"), "_:b"), ("_:c", t("p"), "_:d"))
+    assert G.canonical_bnodes(pairs).distinct().count() == 2
+    with pytest.raises(ValueError, match="told apart"):
+        G.difference(pairs, pairs)
+
+
 def test_lists_fold(spark):
     df = quads(spark, (t("a"), t("p"), terms.make_list([t("x"), terms.make_list([]), terms.make_list([t("y")])])), (t("a"), t("q"), "[]"))
     assert spo(fold_lists(unfold_lists(df))) == spo(df)
