@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.operators.prefix import prefix_sums
-from quadrille.storage import materialize
+from quadrille.storage import materialize, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
@@ -104,10 +104,13 @@ def apportion(targets: DataFrame, shards: int = SHARDS, block_words: int = BLOCK
     )
 
 
-def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shards: int = SHARDS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, source, size): start in its source's order, plan of the source, words taken."""
-    rows = docs.select("doc_id", "source", "size").withColumn("__draw", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
-    laid = materialize(prefix_sums(rows, ["__draw", "doc_id", "size"], F.col("size"), group="source", out="start"), "laid-out")
+def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shards: int = SHARDS, max_repeats: int = MAX_REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (doc_id, source, size): start in its source's order, plan of the source, words taken.
+
+    Columns in ``carry`` stay, and order what the seeded draw, id and size do not.
+    """
+    rows = docs.select("doc_id", "source", "size", *carry).withColumn("__draw", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
+    laid = materialize(prefix_sums(rows, ["__draw", "doc_id", "size", *carry], F.col("size"), group="source", out="start"), "laid-out")
     sizes = laid.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, max_repeats), "targets")
     quotas = apportion(targets, shards, block_words, max_repeats).groupBy("rank").agg(F.sum("seats").alias("seats"))
@@ -133,10 +136,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one that a source's last block cuts stays if its middle is inside."""
-    sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"))
+    key = ("__key1", "__key2")
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(row_key(docs), key, strict=True)])
+    sized = keyed.select("doc_id", "source", words_in(F.col("text")).alias("size"), *key)
     middle = F.col("start") + F.col("size") / 2
     copies = F.col("rounds") + F.when(middle < F.col("rest_words"), 1).otherwise(0)
-    mixed = mix(sized).select("doc_id", F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("__copies"))
-    each = mixed.groupBy("doc_id").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
-    taken = docs.join(each, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return taken.select(*docs.columns)
+    mixed = mix(sized, carry=key).select(*key, F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("__copies"))
+    # equal rows are one row with the copies of all of them
+    each = mixed.groupBy(*key).agg(F.sum("__copies").cast("int").alias("__copies")).where("__copies > 0")
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id")) == 1
+    taken = keyed.join(each, list(key)).withColumn("__first", first).where("__first")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from quadrille.operators.components import connected_components
-from quadrille.storage import bounded_batches, materialize
+from quadrille.storage import bounded_batches, materialize, row_key
 
 SHINGLE = 3
 SEED = 42
@@ -122,13 +122,16 @@ def links(distinct: DataFrame, distance: int = MAX_DISTANCE, hot_key: int = HOT_
     return cold.unionByName(warm).distinct()
 
 
+def _components(groups: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
+    """``groups`` (one row for each fingerprint, fp) with component, the smallest fingerprint reachable."""
+    parts = connected_components(links(groups.select("fp"), distance))
+    return groups.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def classes(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """(fp, component_id): for each distinct fingerprint the smallest doc_id reachable from it."""
     groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    parts = connected_components(links(groups.select("fp"), distance))
-    labelled = groups.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
+    labelled = _components(groups, distance)
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     return labelled.join(least, "component").select("fp", "component_id")
 
@@ -141,13 +144,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their class's smallest; one row of each; same columns."""
-    fp = "__simhash_print"
-    rows = _append_fingerprint(docs, text_col, fp)
-    prints = materialize(rows.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), "prints")
-    best = prints.join(classes(prints), "fp").where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(best.withColumnRenamed("doc_id", id_col), id_col, "left_semi")
-    return kept.dropDuplicates([id_col]).select(*docs.columns)
+    """One row of each class: the one with the smallest id (nulls last), then fingerprint and content; same columns."""
+    key = ["__key1", "__key2"]
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(row_key(docs), key, strict=True)])
+    rows = _append_fingerprint(keyed.select(keyed[id_col].alias("doc_id"), keyed[text_col].cast("string").alias("text"), *key), "text", "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", *key)
+    groups = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")), "fingerprints")
+    best = _components(groups).groupBy("component").agg(F.min("first").alias("first")).select("first.__key1", "first.__key2")
+    return keyed.join(best, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits of a row's content, nulls told apart; rows with equal keys are equal (columns of maps aside)."""
+    cols = [df[f.name] for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    parts = [c for x in cols for c in (x, x.isNull())]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *reversed(parts))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of any file system that Spark knows."""
     jvm = spark.sparkContext._jvm

@@ -32,3 +32,14 @@ def test_stages_keep_columns(spark, sf_dir):
         at = stage(spark, at, sf_dir)
         assert at.dtypes == docs.dtypes
     assert simhash.stage(spark, docs, sf_dir).count() <= docs.count()
+
+
+def test_rows_without_or_with_shared_ids_stay(spark):
+    """One row of each class is kept and mixed, whatever the ids."""
+    texts = ["the old mill by the river grinds corn for seven villages", "a quick survey of harbour cranes and their many drivers", "seventeen violins played slowly while rain fell outside"]
+    rows = [(None, texts[0]), (None, texts[0]), (5, texts[1]), (5, texts[2]), (None, texts[2]), (6, texts[2])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = simhash.stage(spark, docs, "")
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter({(None, texts[0]): 1, (5, texts[1]): 1, (5, texts[2]): 1})
+    # the only source takes all its words once: each row once, equal rows too
+    assert Counter(mixing.stage(spark, docs, "").collect()) == Counter(docs.collect())
