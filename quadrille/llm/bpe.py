@@ -1,16 +1,23 @@
-"""BPE encoding and decoding of whole texts, with tree concatenation for long unsplit runs.
-
-Texts are cut at ASCII white space, which the tokenizer's own splitting never
-crosses, and each distinct word is encoded once per worker (bounded caches). A
-run that the pre-tokenizer leaves whole and that is longer than ``LEAF`` symbols
-is encoded as a binary tree: leaves in one parallel batch, then each join
-re-encodes a window around the seam that grows until its outer tokens equal
-those of both sides. Neighbouring tokens that are valid pairwise make a valid
-sequence, so agreement at both ends makes the whole exact.
+"""BPE encoding and decoding of whole texts by tree concatenation.
+
+A text of over ``TEXT_LEAF`` bytes is halved, unsplit and wherever the middle
+falls, inside a word too, until the parts are small. All parts of a batch of
+texts are encoded together, each distinct word of them once (bounded caches).
+Then each join, level by level, encodes a window around the seam again, which
+grows until its first and its last word have the tokens that both sides have
+there. The tokenizer's own splitting never crosses ASCII white space, so where
+both sides agree on a whole word beyond the seam, all that lies further out is
+exact. A part without white space waits until a join meets some.
+
+A single run that the pre-tokenizer leaves whole and that is longer than
+``LEAF`` symbols is a tree of its own: there tokens that are valid pairwise make
+a valid sequence, so agreement of the window's outer tokens makes the whole
+exact. Tokenizers of another kind than those the fast path knows (``usual``)
+are left to the library, text by text.
 
 Results for odd input: a null text counts as empty, and an empty text has no
 tokens; equal texts give equal rows, all returned; an empty table gives an
-empty table.
+empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +39,15 @@ from tokenizers.models import BPE
 
 from quadrille.storage import bounded_batches
 
-#: Symbols in a leaf of the tree; shorter runs are encoded in one piece.
+#: Bytes of a text that is not halved any further.
+TEXT_LEAF = 1024
+#: Bytes to each side of a seam that a join tries first.
+FIRST_WINDOW = 48
+#: Symbols in a leaf of a run's tree; shorter runs are encoded in one piece.
 LEAF = 512
 #: Words and pieces that a worker remembers before it starts afresh.
-MAX_WORDS = 800_000
-MAX_PIECES = 800_000
+MAX_WORDS = 300_000
+MAX_PIECES = 200_000
 
 #: Below this code point normalisation and character classes are the same in every Unicode version.
 _SIMPLE = 0x180
@@ -62,6 +73,8 @@ def byte_symbols() -> dict[int, str]:
 
 
 _SYMBOL = {chr(b): s for b, s in byte_symbols().items()}
+_BLANK = re.compile(rb"[\x09-\x0d ]")
+_BLANK_BYTES = [bytes([c]) for c in b"\t\n\x0b\x0c\r "]
 _TABLE = str.maketrans({k: v for k, v in _SYMBOL.items() if k != v})
 
 
@@ -94,7 +107,8 @@ class TreeBPE:
         self.last = whole.model
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.open = Tokenizer(BPE(vocab=spec["model"]["vocab"], merges=merges))
-        self.closed = Tokenizer(BPE(vocab=spec["model"]["vocab"], merges=merges, end_of_word_suffix=self.suffix or None))
+        ending = {"end_of_word_suffix": self.suffix} if self.suffix else {}
+        self.closed = Tokenizer(BPE(vocab=spec["model"]["vocab"], merges=merges, **ending))
 
     def _spans(self, tokens: list[str], closed: bool) -> list[int]:
         """Symbols that each token covers."""
@@ -206,6 +220,9 @@ class WordEncoder:
         White space is cut and distinct words are found in native code; Python
         sees each distinct word of the batch once.
         """
+        if not self.usual:
+            coded = self.whole.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)
+            return np.array([i for e in coded for i in e.ids], "<u4"), np.cumsum([0, *(len(e.ids) for e in coded)])
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         cuts = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
@@ -219,6 +236,94 @@ class WordEncoder:
         return ids, (ends[cuts - cuts[0]] - ends[0]) // 4
 
 
+class TextTree:
+    """Exact encoding of texts by halves that are cut anywhere; node values are packed ids, None for a run without white space."""
+
+    def __init__(self, enc: WordEncoder, leaf: int = TEXT_LEAF, window: int = FIRST_WINDOW):
+        self.enc, self.leaf, self.window = enc, leaf, window
+        self.joins = 0
+
+    def _words(self, raw: bytes) -> list[bytes]:
+        return [self.enc.words[w.decode()] for w in raw.split()]
+
+    def _join(self, data: bytes, left: bytes | None, right: bytes | None, a: int, mid: int, b: int) -> bytes:
+        self.joins += 1
+        width = self.window
+        while True:
+            lo, hi = mid - width, mid + width
+            width *= 2
+            if left is None or lo <= a:
+                start, before = a, self._words(data[a:mid]) if left is not None else []
+            else:
+                blank = _BLANK.search(data, lo, mid)
+                if not blank or not _BLANK.search(data, blank.end(), mid):
+                    continue
+                start = blank.end()
+                before = self._words(data[start:mid])
+            if right is None or hi >= b:
+                end, after = b, self._words(data[mid:b]) if right is not None else []
+            else:
+                end = max(data.rfind(c, mid, hi) for c in _BLANK_BYTES)
+                if end < 0 or not _BLANK.search(data, mid, end):
+                    continue
+                after = self._words(data[mid:end])
+            window = self._words(data[start:end])
+            n_before, n_after = sum(map(len, before)), sum(map(len, after))
+            # the ends of a side need no witness: what the window holds up to there is all there is
+            agree_left = start == a or (window and left.startswith(window[0], len(left) - n_before))
+            agree_right = end == b or (window and right.endswith(window[-1], 0, n_after))
+            if agree_left and agree_right:
+                return b"".join(((left or b"")[: len(left or b"") - n_before], *window, (right or b"")[n_after:]))
+
+    def _cuts(self, data: bytes) -> list[int]:
+        """Bounds of the parts: halves of halves, moved back to where a character starts."""
+        parts = 1
+        while len(data) > self.leaf * parts:
+            parts *= 2
+        cuts = [0]
+        for k in range(1, parts):
+            at = len(data) * k // parts
+            while data[at] & 0xC0 == 0x80:
+                at -= 1
+            if at > cuts[-1]:
+                cuts.append(at)
+        return [*cuts, len(data)]
+
+    def _grow(self, data: bytes, cuts: list[int], nodes: list[bytes | None]) -> bytes:
+        while len(nodes) > 1:
+            joined, merged = [], []
+            for i in range(0, len(nodes) - 1, 2):
+                a, mid, b = cuts[i : i + 3]
+                plain = nodes[i] is None and nodes[i + 1] is None
+                joined.append(None if plain else self._join(data, nodes[i], nodes[i + 1], a, mid, b))
+                merged.append(a)
+            if len(nodes) % 2:
+                joined.append(nodes[-1])
+                merged.append(cuts[-2])
+            nodes, cuts = joined, [*merged, cuts[-1]]
+        return b"".join(self._words(data)) if nodes[0] is None else nodes[0]
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As WordEncoder.encode_texts."""
+        if not self.enc.usual:
+            return self.enc.encode_texts(texts)
+        raw = [t or b"" for t in texts.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
+        cuts = [self._cuts(t) for t in raw]
+        parts = pa.array([t[a:b] for t, c in zip(raw, cuts, strict=True) for a, b in zip(c, c[1:], strict=False)], pa.large_binary())
+        ids, starts = self.enc.encode_texts(parts.cast(pa.large_string()))
+        packed, bounds = ids.tobytes(), (starts * 4).tolist()
+        out, at = [], 0
+        for t, c in zip(raw, cuts, strict=True):
+            n = len(c) - 1
+            nodes = [packed[bounds[k] : bounds[k + 1]] for k in range(at, at + n)]
+            if n > 1:
+                nodes = [x if _BLANK.search(t, a, b) else None for x, a, b in zip(nodes, c, c[1:], strict=False)]
+                nodes = [self._grow(t, c, nodes)]
+            out.append(nodes[0])
+            at += n
+        return np.frombuffer(b"".join(out), "<u4"), np.cumsum([0, *(len(x) // 4 for x in out)])
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -239,6 +344,7 @@ class Digests:
 
     def __init__(self, path: str):
         self.enc = encoder(path)
+        self.tree = TextTree(self.enc)
         self.decimal = pa.array([f"{i} ".encode() for i in range(self.enc.vocab_size)], pa.large_binary())
         self.shown = pa.array([f"{t} ".encode() for t in self.enc.tokens], pa.large_binary())
 
@@ -252,7 +358,7 @@ class Digests:
         return [hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
 
     def rows(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
-        ids, starts = self.enc.encode_texts(texts)
+        ids, starts = self.tree.encode_texts(texts)
         return np.diff(starts), self._joined(self.decimal, ids, starts), self._joined(self.shown, ids, starts)
 
 

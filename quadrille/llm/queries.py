@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_calls": toolcalls.ORACLE_SQL}
+    return {"op1_tool_calls": toolcalls.ORACLE_SQL, "op2_mixing": mixing.ORACLE_SQL}
