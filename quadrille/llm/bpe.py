@@ -46,8 +46,10 @@ FIRST_WINDOW = 48
 #: Symbols in a leaf of a run's tree; shorter runs are encoded in one piece.
 LEAF = 512
 #: Words and pieces that a worker remembers before it starts afresh.
-MAX_WORDS = 300_000
-MAX_PIECES = 200_000
+MAX_WORDS = 800_000
+MAX_PIECES = 800_000
+#: The same where workers keep other models too (stages of a pipeline reuse them).
+FEW_WORDS = 300_000
 
 #: Below this code point normalisation and character classes are the same in every Unicode version.
 _SIMPLE = 0x180
@@ -162,7 +164,7 @@ class TreeBPE:
 class WordEncoder:
     """Encodes words that hold no ASCII white space exactly as the library encodes them in a text."""
 
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, words: int = MAX_WORDS, pieces: int = MAX_PIECES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
@@ -174,8 +176,8 @@ class WordEncoder:
         self.tree = TreeBPE(spec, self.whole, leaf)
         self.vocab_size = self.whole.get_vocab_size()
         self.tokens = [self.whole.id_to_token(i) for i in range(self.vocab_size)]
-        self.pieces = Memo(self._piece, MAX_PIECES)
-        self.words = Memo(self._packed, MAX_WORDS)
+        self.pieces = Memo(self._piece, pieces)
+        self.words = Memo(self._packed, words)
         self.usual = self._is_usual(spec)
 
     @staticmethod
@@ -343,7 +345,7 @@ class Digests:
     """Digests of ids and of decoded text, from whole batches."""
 
     def __init__(self, path: str):
-        self.enc = encoder(path)
+        self.enc = WordEncoder(path, words=FEW_WORDS, pieces=FEW_WORDS)
         self.tree = TextTree(self.enc)
         self.decimal = pa.array([f"{i} ".encode() for i in range(self.enc.vocab_size)], pa.large_binary())
         self.shown = pa.array([f"{t} ".encode() for t in self.enc.tokens], pa.large_binary())
