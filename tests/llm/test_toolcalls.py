@@ -1,7 +1,10 @@
 import json
+import random
 from collections import Counter
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import toolcalls
 
@@ -85,6 +88,50 @@ def test_linking_and_order(spark):
     assert run(spark, []) == []
 
 
+def brute_levels(nodes, edges):
+    """Longest chain of dependencies below each call; None on or behind a cycle."""
+    needs, level = {v: {u for x, u in edges if x == v} for v in nodes}, {}
+    while ready := [v for v in nodes if v not in level and needs[v] <= set(level)]:
+        level |= {v: max((level[u] + 1 for u in needs[v]), default=0) for v in ready}
+    return {v: level.get(v) for v in nodes}
+
+
+def test_levels_equal_brute_force(spark):
+    """Long chains forwards, trees, calls with several dependencies, cycles."""
+    rng = random.Random(11)
+    graphs = [
+        (range(70), {(v, v + 1) for v in range(69)}),
+        (range(40), {(v, (v + 1) % 40) for v in range(30)} | {(5, 3)}),
+        (range(9), {(0, 8), (1, 0), (2, 0), (3, 3), (4, 3)}),
+        *((range(60), {(v, rng.randrange(v + 1, 60)) for v in range(59) for _ in range(rng.randrange(4))} | {(50, 2)}) for _ in range(3)),
+        *((range(60), {(v, rng.randrange(60)) for v in range(60) if rng.random() < 0.6}) for _ in range(3)),
+    ]
+    calls = [(g, str(v), v, "ping", "{}") for g, (nodes, _) in enumerate(graphs) for v in nodes]
+    after = [(g, str(v), str(u)) for g, (_, edges) in enumerate(graphs) for v, u in edges]
+    rows = {(r["conv_id"], int(r["call_id"])): r for r in run(spark, calls, (), after)}
+    for g, (nodes, edges) in enumerate(graphs):
+        level = brute_levels(nodes, edges)
+        want = sorted(nodes, key=lambda v: (level[v] is None, level[v] or 0, v)) if any(u >= v for v, u in edges) else list(nodes)
+        assert sorted(nodes, key=lambda v: rows[g, v]["step"]) == want
+        assert all(rows[g, v]["cyclic"] == (level[v] is None) for v in nodes)
+
+
+def test_null_position_is_no_missing_parent(spark):
+    rows = {r["call_id"]: r for r in run(spark, [(1, "a", None, "ping", "{}"), (1, "b", 1, "ping", "{}")], (), [(1, "b", "a"), (1, "b", "c")])}
+    assert rows["b"]["n_missing"] == 1 and (rows["a"]["step"], rows["b"]["step"]) == (0, 1)
+
+
+def test_schemas_are_checked_whole(spark):
+    schema = {"properties": {"xs": {"items": {"type": "object", "properties": {"k": {"const": 1}}, "required": ["k"]}}, "n": {"exclusiveMinimum": 0}}}
+    cases = {'{"xs":[{"k":1}],"n":1}': 0, '{"xs":[{"k":2}]}': 1, '{"xs":[{}]}': 1, '{"xs":[3]}': 1, '{"n":0}': 1}
+    table = spark.createDataFrame([(a,) for a in cases], "a string")
+    got = {r["a"]: r["n"] for r in table.select("a", F.size(toolcalls.argument_errors(F.lit("t"), F.col("a"), {"t": schema})).alias("n")).collect()}
+    assert got == cases
+    for odd in ({"anyOf": []}, {"properties": {"x": {"$ref": "#"}}}, {"additionalProperties": {"type": "string"}}):
+        with pytest.raises(ValueError):
+            toolcalls.schema_errors(F.col("a"), odd)
+
+
 def test_explicit_chat(spark):
     call = {"tool_calls": [{"id": "1", "name": "search", "arguments": '{"q":"ab"}'}, {"id": "2", "name": "search", "arguments": {"q": "cd"}, "after": ["1"]}]}
     rows = [
