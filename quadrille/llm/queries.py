@@ -27,4 +27,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_calls": toolcalls.ORACLE_SQL, "op2_mixing": mixing.ORACLE_SQL}
+    return {
+        "op1_tool_calls": toolcalls.ORACLE_SQL,
+        "op2_mixing": mixing.ORACLE_SQL,
+        "op3_line_cleaning": quality.ORACLE_SQL,
+        "op6_feistel_shards": sharding.ORACLE_SQL,
+        "op10_pca_tiles": vectors.ORACLE_SQL,
+    }

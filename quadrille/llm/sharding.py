@@ -8,7 +8,8 @@ any row number, and inverted, without reading data.
 
 Results for odd input: a null text has size 16 and checksum 0; null ids are
 numbered first; equal rows get places of their own; an empty table gives an
-empty table.
+empty table; columns named row_number, shard or slot are refused by ``assign``
+and not read by the query.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.operators.prefix import prefix_sums
+from quadrille.storage import materialize
 
 ROUNDS = 6
 
@@ -77,7 +79,11 @@ def unpermute(places: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 
 
 def assign(rows: DataFrame, order_by: list[str], shards: int = 40, seed: int = 17) -> DataFrame:
-    """Add row_number, shard and slot to ``rows``."""
+    """Add row_number, shard and slot to ``rows``, which must not have columns of these names."""
+    if taken := {"row_number", "shard", "slot"} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"columns in the way: {sorted(taken)}")
+    # written first: a range partitioning reads its input twice
+    rows = materialize(rows, "rows")
     numbered = prefix_sums(rows, order_by, F.lit(1), out="row_number")
     n = rows.count()
     added = [T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]
@@ -111,3 +117,29 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "row_number",
     )
+
+
+#: CRC-32 byte by byte, and the Feistel network round by round.
+ORACLE_SQL = r"""
+with recursive bits as (select k, k::ubigint as c, 0 as step from range(0, 256) t(k)
+  union all select k, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, step + 1 from bits where step < 8),
+crc_table as (select list(c order by k) as t from bits where step = 8),
+d as (select doc_id, coalesce(strlen(text), 0) + 16 as size, regexp_extract_all(hex(coalesce(text, '')), '..') as pairs from documents),
+summed as (select doc_id, size,
+    xor(list_reduce(list_transform(pairs, lambda p: ((instr('0123456789ABCDEF', p[1]) - 1) * 16 + instr('0123456789ABCDEF', p[2]) - 1)::ubigint),
+      lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::bigint]), 4294967295::ubigint), 4294967295::ubigint)::bigint as text_crc32 from d, crc_table),
+numbered as (select *, row_number() over (order by doc_id nulls first, text_crc32, size) - 1 as row_number, count(*) over () as n from summed),
+sized as (select *, greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2) as half from numbered),
+-- one row for each Feistel round of each row number; a place that is no row number goes through the network again
+walk as (select row_number, n, half, (row_number >> half)::ubigint as l, (row_number & ((1 << half) - 1))::ubigint as r, 0 as round, false as done from sized
+  union all
+  select row_number, n, half, r, xor(l, xor(z2, z2 >> 31) & ((1 << half) - 1)::ubigint), round + 1,
+    (round + 1) % 6 = 0 and (r << half) | xor(l, xor(z2, z2 >> 31) & ((1 << half) - 1)::ubigint) < n
+  from (select *, (xor(z1, z1 >> 27)::uhugeint * 10723151780598845931 % 18446744073709551616)::ubigint as z2
+    from (select *, (xor(z0, z0 >> 30)::uhugeint * 13787848793156543929 % 18446744073709551616)::ubigint as z1
+      from (select *, ((r::uhugeint + (18 * 11400714819323198485::uhugeint + (round % 6)::uhugeint * 15111065706836454659::uhugeint)) % 18446744073709551616)::ubigint as z0
+        from walk where not done)))),
+placed as (select row_number, ((l << half) | r)::bigint as place from walk where done)
+select doc_id, size, text_crc32, 'rows' as law, (place % 40)::int as shard, place // 40 as slot, null::int as grown_shard, row_number
+from sized join placed using (row_number)
+"""

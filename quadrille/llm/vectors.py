@@ -397,3 +397,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def op10_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs, and the smallest id reached step by step.
+ORACLE_SQL = r"""
+with recursive good as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.95),
+reached as (select a as node, a as to_node from links union select r.node, l.b from reached r join links l on l.a = r.to_node),
+least as (select node, min(to_node) as component_id from reached group by node),
+counted as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(c.n, 0) as n_links, coalesce(l.component_id, e.vec_id) as component_id, coalesce(l.component_id, e.vec_id) = e.vec_id as kept
+from embeddings e left join counted c on c.a = e.vec_id left join least l on l.node = e.vec_id
+"""
