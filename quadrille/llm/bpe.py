@@ -359,9 +359,12 @@ class Digests:
         view = memoryview(data) if data is not None else b""
         return [hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
 
-    def rows(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+    def rows(self, texts: pa.Array, with_ids: bool = False) -> list[pa.Array]:
+        """Columns n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
         ids, starts = self.tree.encode_texts(texts)
-        return np.diff(starts), self._joined(self.decimal, ids, starts), self._joined(self.shown, ids, starts)
+        hashed = [pa.array(self._joined(t, ids, starts), pa.string()) for t in (self.decimal, self.shown)]
+        kept = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))] if with_ids else []
+        return [pa.array(np.diff(starts), pa.int64()), *hashed, *kept]
 
 
 @lru_cache(maxsize=2)
@@ -369,33 +372,25 @@ def digests(path: str) -> Digests:
     return Digests(path)
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: token count, digest of its ids, digest of the text decoded from them.
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per document: token count, digest of its ids, digest of the text decoded from them; the ids too if asked for.
 
     ``tokenizer`` is a path that every executor can open, or the name of a
     vocabulary file installed with the workers' Python.
     """
     bounded_batches(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", picked.schema["doc_id"].dataType),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("ids_sha256", T.StringType()),
-            T.StructField("decoded_sha256", T.StringType()),
-        ]
-    )
+    fields = [picked.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if with_ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+    names = [f.name for f in fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = digests(_resolve(tokenizer))
         for batch in batches:
-            counts, ids, decoded = d.rows(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *d.rows(batch.column(1), with_ids)], names)
 
-    return picked.mapInArrow(work, schema)
+    return picked.mapInArrow(work, T.StructType(fields))
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -406,4 +401,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_decode(docs, TOKENIZER)
+    """Token ids of every document, with their digests."""
+    return encode_decode(docs, TOKENIZER, with_ids=True)
