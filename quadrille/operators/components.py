@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.operators.skew import SALTS
 from quadrille.storage import remove, written
 
-#: Parts that the links of one node are dealt to, so that a node with very many links is no task of its own.
-SALTS = 32
-
 
 def _with_least(links: DataFrame) -> DataFrame:
     """(u, v, m) for links (u, v), with m the smallest v of u.
@@ -18,7 +16,8 @@ def _with_least(links: DataFrame) -> DataFrame:
     the parts of a node (``SALTS`` rows at most), and go back to the parts, so no
     task meets more than a part of a hub's links.
     """
-    dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    # dealt once: the minima and the join read the same exchange
+    dealt = links.withColumn("salt", F.xxhash64("v").bitwiseAND(F.lit(SALTS - 1))).repartition("u", "salt")
     parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
     whole = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("salt").alias("salts"))
     return dealt.join(whole.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).select("u", "v", "m")
@@ -49,9 +48,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         mark = state
         # large star: (u, v) both ways, m = min(neighbours of u and u); link every larger v to m
         both = now.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))).alias("x")).select("x.*")
-        large = _with_least(both).where("v > u").select(F.least("u", "m").alias("lo"), F.col("v").alias("hi")).distinct()
+        # (as many rows as links; the round's end drops repeats)
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # small star: u with its smaller neighbours; link them and u to the least of them
-        small = _with_least(large.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        small = _with_least(large)
         ends = F.explode(F.array("v", "u"))
         before, (now, path) = path, written(small.select(F.col("m").alias("lo"), ends.alias("hi")).where("lo != hi").distinct(), "edges")
         remove(spark, before)
