@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from quadrille.operators.components import connected_components
+from quadrille.operators.skew import spread_join
 from quadrille.storage import bounded_batches, materialize, row_key
 
 SHINGLE = 3
@@ -140,7 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: doc_id, fingerprint (hex), component_id."""
     prints = materialize(fingerprints(docs, id_col, text_col), "prints")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(classes(prints), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return spread_join(prints, materialize(classes(prints), "classes"), "fp", ["doc_id"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.operators.components import connected_components
+from quadrille.operators.skew import spread_join
 from quadrille.storage import materialize, n_partitions
 
 THRESHOLD = 0.95
@@ -385,8 +386,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
     about = materialize(known.join(least, "component").select("rep", "n_links", "component_id"), "classes")
-    by_vector = reps.select("rep", F.col("v").alias("rep_v")).join(about, "rep")
-    joined = rows.withColumn("good", usable(F.col("v"))).join(by_vector, F.col("good") & (F.col("v") == F.col("rep_v")), "left")
+    by_vector = reps.select("rep", F.col("v").alias("key")).join(about, "rep").drop("rep")
+    # unusable vectors have no key, so they match nothing
+    keyed = rows.select("vec_id", usable(F.col("v")).alias("good"), "v").select("vec_id", "good", F.when(F.col("good"), F.col("v")).alias("key"))
+    joined = spread_join(keyed, by_vector, "key", ["vec_id"], "left")
     out = joined.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
