@@ -249,29 +249,49 @@ class Facts:
             self.parts = [materialize(self.all(), "facts")]
 
 
-def _new(ds: Dataset, found: list[DataFrame], known: DataFrame) -> DataFrame:
+def _new(found: list[DataFrame], known: DataFrame, heads: set) -> DataFrame:
+    """What is not known yet; only facts of the predicates that rules write are read for it."""
     rows = union_all(found).distinct()
+    if None not in heads:
+        known = known.where(F.col("p").isin(*sorted(heads)))
     return materialize(rows.join(known, ["g", "s", "p", "o"], "left_anti"), "derived")
 
 
 def _predicates(delta: DataFrame, limit: int = 1000) -> set | None:
-    """Predicates of new facts; None if there are too many to tell apart."""
+    """Predicates of new facts (none: there are no new facts); None if there are too many to tell apart."""
     rows = delta.select("p").distinct().limit(limit + 1).collect()
     return None if len(rows) > limit else {r["p"] for r in rows}
 
 
-def think(ds: Dataset, rules: list[Rule], max_rounds: int = MAX_ROUNDS, graph: str = "") -> Dataset:
-    """All facts that follow, with the data. Rules that a head states take part."""
+def think(ds: Dataset, rules: list[Rule], max_rounds: int = MAX_ROUNDS, graph: str = "", since: DataFrame | None = None) -> Dataset:
+    """All facts that follow, with the data. Rules that a head states take part.
+
+    With ``since``, the facts other than these are closed under the rules
+    already, so the first round too evaluates only what these can fire; rules
+    that look at the store as a whole are evaluated whole.
+    """
     facts = Facts(materialize(ds.quads.distinct(), "facts"))
     known = {r.name for r in rules}
     now = ds.replace(facts.all())
+    fresh_facts = None if since is None else [materialize(since.select("g", "s", "p", "o").distinct(), "since")]
     layers = strata(rules)
     while layers:
         layer = layers.pop(0)
         made: list[Rule] = []
-        delta = _first_round(now, layer, facts, made, known, graph)
         rounds = 0
+        if fresh_facts is None:
+            found = [x for r in layer for x in _whole(now, r, made, known, graph)]
+        else:
+            new = union_all(fresh_facts)
+            changed = _predicates(new)
+            found = []
+            for r in layer:
+                whole = not all(_is_plain(p) or lookup(p) is not None for _, p, _ in r.body)
+                found += _whole(now, r, made, known, graph) if whole else _with_delta(now, r, new, changed, made, known, graph)
+        delta, changed = _keep(found, facts, layer)
         while delta is not None or made:
+            if delta is not None and fresh_facts is not None:
+                fresh_facts.append(delta)
             rounds += 1
             if rounds > max_rounds:
                 raise RuntimeError(f"rules did not settle in {max_rounds} rounds")
@@ -280,12 +300,11 @@ def think(ds: Dataset, rules: list[Rule], max_rounds: int = MAX_ROUNDS, graph: s
             found = []
             now = _renewed(ds, now, facts)
             if delta is not None:
-                changed = _predicates(delta)
                 for r in layer:
                     found += _with_delta(now, r, delta, changed, made, known, graph)
             for r in fresh:
                 found += _whole(now, r, made, known, graph)
-            delta = _keep(now, found, facts)
+            delta, changed = _keep(found, facts, layer)
         now = _renewed(ds, now, facts)
     return now
 
@@ -323,21 +342,16 @@ def _with_delta(now: Dataset, r: Rule, delta: DataFrame, changed: set | None, ma
     return found
 
 
-def _keep(now: Dataset, found: list[DataFrame], facts: Facts) -> DataFrame | None:
+def _keep(found: list[DataFrame], facts: Facts, layer: list[Rule]) -> tuple[DataFrame | None, set | None]:
+    """New facts and their predicates, now among the facts; no facts if there are none."""
     if not found:
-        return None
-    delta = _new(now, found, facts.all())
-    if delta.isEmpty():
-        return None
+        return None, set()
+    delta = _new(found, facts.all(), set().union(*(writes(r) for r in layer)))
+    changed = _predicates(delta)
+    if changed == set():
+        return None, changed
     facts.add(delta)
-    return delta
-
-
-def _first_round(now: Dataset, layer: list[Rule], facts: Facts, made: list[Rule], known: set[str], graph: str) -> DataFrame | None:
-    found = []
-    for r in layer:
-        found += _whole(now, r, made, known, graph)
-    return _keep(now, found, facts)
+    return delta, changed
 
 
 # --- provenance ------------------------------------------------------------------------------------------------------

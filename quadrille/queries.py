@@ -103,7 +103,7 @@ def thought(text: str, p: str, *kinds: str) -> Query:
 
 
 def cells(name: str, /, **exprs) -> Query:
-    """One output column for each built-in, over the rows of a table."""
+    """One output column for each built-in, over the rows of a table; k is its key, if it has one."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = table(spark, sf_dir, name)
@@ -113,7 +113,8 @@ def cells(name: str, /, **exprs) -> Query:
             x = e(row)
             c = x if not isinstance(x, Val) else x.element_keys() if x.kind == "list" else x.col
             columns.append(c.alias(out))
-        return finish(t.df.select(*columns)).distinct()
+        out = finish(t.df.select(*columns))
+        return out if KEYS[name] else out.distinct()
 
     return run
 

@@ -1,7 +1,9 @@
 """Rules over streams of statements (an extension: graphs arrive in batches).
 
-A stream of quads is joined to the facts so far batch by batch: each batch is
-one round of new facts for the fixpoint, so only rules that it can fire run.
+A stream of quads is joined to the facts so far batch by batch: what came before
+is closed under the rules, so a batch's fixpoint starts from its own statements
+and only rules that they can fire are evaluated. The facts so far are read again
+for each batch, to join with and to leave out what is known.
 Facts live in a folder of Parquet parts named by batch, so a batch that is run
 again after a failure overwrites its own part and nothing else.
 """
@@ -39,8 +41,9 @@ def reason_over(stream: DataFrame, rules: list[Rule], folder: str, checkpoint: s
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = facts_before(spark, folder, number)
-        everything = old.unionByName(batch.select("g", "s", "p", "o"))
-        done = think(Dataset(spark, everything), rules).quads
+        came = batch.select("g", "s", "p", "o")
+        since = came.join(old, ["g", "s", "p", "o"], "left_anti") if number else None
+        done = think(Dataset(spark, old.unionByName(came)), rules, since=since).quads
         fresh = done.join(old, ["g", "s", "p", "o"], "left_anti")
         fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
