@@ -40,41 +40,78 @@ def unfold_lists(quads: DataFrame) -> DataFrame:
         todo = materialize(rows.select("g", "s", "c.p", "c.o").distinct(), "cells")
 
 
-def fold_lists(quads: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def _positions(cells: DataFrame, starts: DataFrame) -> DataFrame:
+    """Cells (g, s, first, rest) with start, the cell their run begins at, and place, their distance from it.
+
+    Each cell that is no start has one cell before it. Pointers back to it double
+    each round, so rounds grow with the logarithm of a list's length. Cells on a
+    ring without a start are left out.
+    """
+    marked = cells.join(starts.withColumn("begins", F.lit(True)), ["g", "s"], "left")
+    before = cells.select("g", F.col("rest").alias("s"), F.col("s").alias("before"))
+    back = marked.join(before, ["g", "s"], "left").select(
+        "g", "s", F.when(F.col("begins"), F.col("s")).otherwise(F.col("before")).alias("start"),
+        F.when(F.col("begins"), 0).otherwise(1).cast("long").alias("place"), F.coalesce("begins", F.lit(False)).alias("done"),
+    ).dropDuplicates(["g", "s"])
+    now = materialize(back, "runs")
+    n = now.count()
+    for _ in range(n.bit_length() + 1):
+        if now.where("not done").isEmpty():
+            break
+        there = now.select("g", F.col("s").alias("start"), F.col("start").alias("next"), F.col("place").alias("more"), F.col("done").alias("end"))
+        moved = now.where("not done").join(there, ["g", "start"]).select("g", "s", F.col("next").alias("start"), (F.col("place") + F.col("more")).alias("place"), F.col("end").alias("done"))
+        now = materialize(now.where("done").unionByName(moved), "runs")
+    return cells.join(now.where("done").select("g", "s", "start", "place"), ["g", "s"])
+
+
+def fold_lists(quads: DataFrame) -> DataFrame:
     """Quads with chains of cells that end in nil replaced by list terms, and owl:oneOf lists by sets.
 
-    A round folds one more cell of every chain whose inner lists are folded, so
-    rounds follow the longest list.
+    A run of cells begins where anything but one rest points, or something else
+    is said, and ends at nil or at the next run; places in runs come from pointer
+    doubling. A round then folds every run whose inner lists and next run are
+    folded, so rounds follow the depth of nesting, not the length of lists.
     Cells with more than one first or rest are left alone.
     """
+    quads = materialize(quads.select("g", "s", "p", "o"), "quads")  # read several times
     first = quads.where(F.col("p") == N.FIRST).groupBy("g", "s").agg(F.min("o").alias("first"), F.count_distinct("o").alias("n1"))
     rest = quads.where(F.col("p") == N.REST).groupBy("g", "s").agg(F.min("o").alias("rest"), F.count_distinct("o").alias("n2"))
     nil = lambda c: F.when(F.col(c) == N.NIL, "[]").otherwise(F.col(c))
     cells = first.join(rest, ["g", "s"]).where("n1 = 1 and n2 = 1 and s like '\\_:%'").select("g", "s", nil("first").alias("first"), nil("rest").alias("rest"))
     cells = materialize(cells, "cells")
-    inner = cells.select("g", F.col("s").alias("first"), F.lit(True).alias("nested"))
-    cells = materialize(cells.join(inner, ["g", "first"], "left"), "cells")
+    if cells.isEmpty():
+        return _sets(_nil(quads).select("g", "s", "p", "o"))
+    names = cells.select("g", "s")
+    follows = cells.groupBy("g", F.col("rest").alias("s")).agg(F.count("*").alias("n")).where("n = 1").select("g", "s")
+    shown = quads.where(F.col("p") != N.REST).select("g", F.col("o").alias("s")).unionByName(quads.where(~F.col("p").isin(N.FIRST, N.REST)).select("g", "s"))
+    starts = names.join(follows, ["g", "s"], "left_anti").unionByName(names.join(shown, ["g", "s"], "left_semi")).distinct()
+    placed = materialize(_positions(cells, materialize(starts, "starts")), "placed")
+    heads = starts.select("g", F.col("s").alias("first"), F.lit(True).alias("nested"))
+    todo = materialize(placed.join(heads, ["g", "first"], "left").select("g", "s", "start", "place", "first", "rest", "nested"), "open-lists")
     known = None
-    for _ in range(max_rounds):
-        empty = cells.select("g", F.lit("[]").alias("node"), F.lit("[]").alias("list")).limit(0)
-        done = empty if known is None else known.select("g", F.col("s").alias("node"), "list")
-        todo = cells if known is None else cells.join(known.select("g", "s"), ["g", "s"], "left_anti")
-        tails = done.select("g", F.col("node").alias("rest"), F.col("list").alias("tail"))
-        heads = done.select("g", F.col("node").alias("first"), F.col("list").alias("head"))
-        joined = todo.join(tails, ["g", "rest"], "left").join(heads, ["g", "first"], "left")
-        tail = F.when(F.col("rest") == "[]", "[]").otherwise(F.col("tail"))
-        head = F.when(F.col("nested"), F.col("head")).otherwise(F.col("first"))
-        ready = joined.select("g", "s", terms.list_key(F.concat(F.array(head), terms.items_of(tail))).alias("list")).where("list is not null")
+    while True:
+        rows = todo.withColumn("item", F.when(F.col("nested").isNull(), F.col("first")))
+        if known is not None:
+            rows = todo.join(known.select("g", F.col("start").alias("first"), F.col("list").alias("inner")), ["g", "first"], "left").withColumn("item", F.when(F.col("nested"), F.col("inner")).otherwise(F.col("first")))
+        runs = rows.groupBy("g", "start").agg(
+            F.count_if(F.col("item").isNull()).alias("open"), F.max_by("rest", "place").alias("end"), F.array_sort(F.collect_list(F.struct("place", "item"))).alias("items")
+        ).where("open = 0")
+        items = F.transform("items", lambda x: x["item"])
+        tail = F.when(F.col("end") == "[]", F.array().cast("array<string>"))
+        if known is not None:
+            runs = runs.join(known.select("g", F.col("start").alias("end"), F.col("list").alias("rest_list")), ["g", "end"], "left")
+            tail = tail.otherwise(terms.items_of(F.col("rest_list")))
+        ready = runs.select("g", "start", terms.list_key(F.concat(items, tail)).alias("list")).where("list is not null")
         ready = materialize(ready, "folded")
         if ready.isEmpty():
             break
-        known = ready if known is None else known.unionByName(ready)
+        known = ready if known is None else materialize(known.unionByName(ready), "known-lists")
+        todo = materialize(todo.join(ready.select("g", "start"), ["g", "start"], "left_anti"), "open-lists")
     if known is None:
-        return _nil(quads)
-    used = known.select("g", F.col("s").alias("node"), "list")
-    left = quads.join(known.select("g", "s"), ["g", "s"], "left_anti").unionByName(
-        quads.join(known.select("g", "s"), ["g", "s"], "left_semi").where(~F.col("p").isin(N.FIRST, N.REST))
-    )
+        return _sets(_nil(quads).select("g", "s", "p", "o"))
+    folded = materialize(placed.join(known.select("g", "start"), ["g", "start"], "left_semi").select("g", "s"), "folded-cells")
+    left = quads.join(folded.withColumn("__cell", F.lit(True)), ["g", "s"], "left").where(F.col("__cell").isNull() | ~F.col("p").isin(N.FIRST, N.REST)).select("g", "s", "p", "o")
+    used = known.select("g", F.col("start").alias("node"), "list")
     out = _renamed(_renamed(left, used, "s"), used, "o")
     return _sets(_nil(out).select("g", "s", "p", "o"))
 

@@ -503,19 +503,20 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def _sources(ds: Dataset, q: Query) -> Dataset:
-    """FROM: the default graph is the merge of the named sources (graphs of the data set, or documents)."""
-    if not q.sources:
+    """FROM and FROM NAMED: the default graph is the merge of the former, the named graphs are the latter (graphs of the data set, or documents)."""
+    if not q.sources and not q.named:
         return ds
     from quadrille.sources.documents import load
 
-    frames = []
-    for key in q.sources:
+    def graph(key: str, name: str) -> DataFrame:
         own = ds.quads.where(F.col("g") == key)
         if own.isEmpty():
             own = Dataset.of(ds.spark, load(key[1:-1])).quads.where("g = ''")
-        frames.append(own.withColumn("g", F.lit("")))
-    rest = ds.quads.where("g != ''")
-    out = ds.replace(union_all([*frames, rest]).distinct())
+        return own.withColumn("g", F.lit(name))
+
+    frames = [graph(key, "") for key in q.sources]
+    frames += [graph(key, key) for key in q.named] if q.named else [ds.quads.where("g != ''")]
+    out = ds.replace(union_all(frames).distinct())
     out.tables, out.predicates = {}, {}
     return out
 

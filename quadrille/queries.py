@@ -336,7 +336,7 @@ def conclusion_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARENTS = """{ ?c c:c_custkey ?k. ?k math:greaterThan 1. (?k 2) math:integerQuotient ?h } => { ?k :parent ?h }.
 { ?a :parent ?b } => { ?a :above ?b }. { ?a :above ?b. ?b :above ?c } => { ?a :above ?c }."""
-EDGES = """{ ?e ev:user_id ?u; ev:event_id ?i. (?i 30) math:remainder ?a. (?u 30) math:remainder ?b. ?a math:notEqualTo ?b } => { ?a :to ?b }.
+EDGES = """{ ?c c:c_custkey ?k. (?k 10) math:remainder ?m. (?m 1) math:sum ?u. (?u 10) math:remainder ?v. (?k ?m) math:difference ?t. (?t ?v) math:sum ?n } => { ?k :to ?n }.
 { ?a :to ?b } => { ?a :reaches ?b }. { ?a :reaches ?b. ?b :to ?c } => { ?a :reaches ?c }."""
 LAYERED = """{ ?c c:c_custkey ?k; c:c_acctbal ?b. ?b math:lessThan 0 } => { ?k :debtor "yes" }.
 { ?c c:c_custkey ?k. ?SCOPE log:notIncludes { ?k :debtor "yes" } } => { ?k :creditor "yes" }."""
@@ -384,7 +384,8 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
     "j07_graph_join": (in_graphs, "select '<table:region/' || n_regionkey || '>' as g, n_name as name from nation where n_nationkey > 5"),
     "j07_includes": (includes_graph, "select '<table:region/' || n_regionkey || '>' as r, n_name as m from nation where n_regionkey not in (select n_regionkey from nation where n_name = 'NATION_7')"),
     "j08_ancestors": (thought(PARENTS, "above", "long", "long"), "with recursive t(a, b) as (select c_custkey, c_custkey // 2 from customer where c_custkey > 1 union select t.a, t.b // 2 from t where t.b > 1) select a, b from t"),
-    "j08_cyclic_reach": (thought(EDGES, "reaches", "long", "long"), "with recursive e as (select distinct event_id % 30 as a, user_id % 30 as b from events where event_id % 30 <> user_id % 30), t(a, b) as (select a, b from e union select t.a, e.b from t join e on t.b = e.a) select a, b from t"),
+    # rings of ten customers: as many cycles as the table has tens
+    "j08_cyclic_reach": (thought(EDGES, "reaches", "long", "long"), "with recursive e as (select c_custkey as a, c_custkey - c_custkey % 10 + (c_custkey % 10 + 1) % 10 as b from customer), t(a, b) as (select a, b from e union select t.a, e.b from t join e on t.b = e.a) select a, b from t"),
     # rules
     "r01_strata": (thought(LAYERED, "creditor", "long", "string"), "select c_custkey as a, 'yes' as b from customer where c_acctbal >= 0"),
     "r03_one_pass": (one_pass, "select distinct c_mktsegment as a, n_name as b from customer join nation on c_nationkey = n_nationkey"),

@@ -7,7 +7,10 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quadrille import queries
+from quadrille import graph_queries, queries
+
+QUERIES = queries.queries() | graph_queries.queries()
+SQL = queries.oracle_sql() | graph_queries.oracle_sql()
 
 
 @pytest.fixture(scope="session")
@@ -25,10 +28,10 @@ def plain(x):
     return x
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, sf_dir, con, name):
-    df = queries.queries()[name](spark, sf_dir)
-    cursor = con.execute(queries.oracle_sql()[name])
+    df = QUERIES[name](spark, sf_dir)
+    cursor = con.execute(SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(df.columns)
     want = Counter(tuple(plain(x) for x in r) for r in cursor.fetchall())

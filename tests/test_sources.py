@@ -183,6 +183,23 @@ def test_lists_fold(spark):
     assert spo(fold_lists(cells)) == {(t("k"), t("in"), terms.make_set([t("a"), t("b")]))}
 
 
+def test_long_lists_fold_in_few_rounds(spark, monkeypatch):
+    """A list of 300 cells, tails that are shared or spoken of, and rings."""
+    from quadrille.operators import lists
+
+    n, rounds = 300, []
+    chain = [(f"_:{i}", N.FIRST, t(f"x{i}")) for i in range(n)] + [(f"_:{i}", N.REST, f"_:{i + 1}" if i < n - 1 else N.NIL) for i in range(n)]
+    ring = [("_:r", N.FIRST, t("z")), ("_:r", N.REST, "_:r")]
+    more = [(t("a"), t("p"), "_:0"), (t("b"), t("p"), "_:297"), ("_:298", t("note"), t("c")), ("_:k", N.FIRST, t("y")), ("_:k", N.REST, "_:299"), (t("d"), t("p"), "_:k")]
+    real = lists.materialize
+    monkeypatch.setattr(lists, "materialize", lambda df, name: rounds.append(name) or real(df, name))
+    got = spo(fold_lists(quads(spark, *chain, *ring, *more)))
+    whole = [t(f"x{i}") for i in range(n)]
+    made = terms.make_list
+    assert got == {(t("a"), t("p"), made(whole)), (t("b"), t("p"), made(whole[297:])), (made(whole[298:]), t("note"), t("c")), (t("d"), t("p"), made([t("y"), whole[299]]))} | set(ring)
+    assert rounds.count("runs") < 12
+
+
 def test_reify():
     f = n3.parse(P + ':a :b ("x" _:n), { :c :d _:m }. _:n :e 1.')
     described, top = reify(f)
