@@ -250,6 +250,13 @@ def equal_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts_of(R.apply_once(Dataset.of(spark, f), R.rules_of(f)), "agrees", "string", "string")
 
 
+def one_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of one region say the same graph; one name is let through for each graph."""
+    lines = " ".join(f':n{r["n_nationkey"]} :name "{r["n_name"]}"; :says {{ :x :in {r["n_regionkey"]} }}.' for r in _nation_rows(spark, sf_dir))
+    f = n3.parse(HEAD + lines + " { ?a :says ?g; :name ?m. ?g log:enforceUniqueBinding ?m. ?g log:includes { :x :in ?k } } => { ?k :named ?m }.")
+    return facts_of(R.apply_once(Dataset.of(spark, f), R.rules_of(f)), "named", "long", "string")
+
+
 def deep_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns inside nested lists, with a variable met twice."""
     lines = " ".join(f':n{r["n_nationkey"]} :l ("{r["n_name"]}" ({r["n_regionkey"]} {r["n_nationkey"] % 5})).' for r in _nation_rows(spark, sf_dir))
@@ -304,6 +311,7 @@ REGISTERED: dict[str, tuple[Query, str]] = {
     "b016_parsed": (saw('{ ?r r:r_name ?m; r:r_regionkey ?k. ("@prefix : <urn:q#>. :x :named \\"" ?m "\\".") string:concatenation ?t. ?t log:parsedAsN3 ?f. ?f log:includes { ?a :named ?n } } => { ?k :saw ?n }.'), ALL),
     "b018_supports": (saw(_always("{ :a :p :b. { ?x :p ?y } => { ?y :p ?x } } log:supports { :b :p :a }.")), ALL),
     "b019_filter": (saw(_region("({ :a :k 1. :b :k 2 } { { ?x :k ?y } => { ?y :of ?x } }) log:filter ?h. ?h log:includes { ?k :of ?q }.")), regions(1, 2)),
+    "b023_unique_binding": (one_name, "select n_regionkey as a, min(n_name) as b from nation group by 1"),
     "b024_conjunction": (saw(_region("({ :a :p 1 } { :b :p 2 }) log:conjunction ?g. ?g log:includes { ?x :p ?k }.")), regions(1, 2)),
     "b025_n3_string": (saw(_always('{ :a :k 1 } log:n3String ?s. ?s string:contains "urn:q#".')), ALL),
     "b026_reification": (saw(_region('{ :a :b ("x" 3) } log:reification ?d. ?q log:reification ?d. ?q log:includes { :a :b ?l }. ?l list:last ?k.')), regions(3)),

@@ -25,6 +25,7 @@ from quadrille.plans.values import Val, same
 
 INCLUDES = f"<{N.LOG}includes>"
 NOT_INCLUDES = f"<{N.LOG}notIncludes>"
+UNIQUE_BINDING = f"<{N.LOG}enforceUniqueBinding>"
 NOT_INCLUDES_BUILTINS = f"<{N.LOG}notIncludesWithBuiltins>"
 SUPPORTS = f"<{N.LOG}supports>"
 SCOPED = {INCLUDES, NOT_INCLUDES, NOT_INCLUDES_BUILTINS, SUPPORTS}
@@ -430,6 +431,8 @@ class Matcher:
         if call is None:
             return None
         sv, ov = self.value(s, state.vals), self.value(o, state.vals)
+        if p == UNIQUE_BINDING:
+            return self._unique(sv, ov) if sv is not None and ov is not None else None
         backwards = call.backwards and sv is None and ov is not None
         given, target = (ov, s) if backwards else (sv, o)
         if given is None:
@@ -455,6 +458,18 @@ class Matcher:
 
         return action
 
+    @staticmethod
+    def _unique(graph: Val, name: Val):
+        """Of the names bound together with one graph only the least holds; subjects that are no graphs have none."""
+
+        def action(b: Bindings, _):
+            k, v, least = _name(), _name(), _name()
+            rows = b.df.withColumn(k, graph.key()).withColumn(v, name.key()).where(F.col(k).startswith("{"))
+            chosen = rows.groupBy(k).agg(F.min(v).alias(least))
+            return Bindings(rows.join(chosen, k).where(F.col(v) == F.col(least)).drop(k, v, least), b.vals, b.maybe)
+
+        return action
+
     def _scoped(self, st: tuple, state: Bindings, others: list):
         """includes and its negations: joins with another graph, or with the store itself."""
         s, p, o = st
