@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts that the rows of one key are dealt to (a power of two).
-SALTS = 32
+SALTS = 512
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, by: list[str], how: str = "inner") -> DataFrame:
