@@ -32,11 +32,13 @@ def data_only(quads: DataFrame) -> DataFrame:
 
 
 def smush(quads: DataFrame, same: str = N.SAME_AS) -> DataFrame:
-    """One name for equal nodes: no blank node if there is another, then the smallest."""
+    """One name for equal nodes: no blank node if there is another, then the smallest (IRIs compare without brackets)."""
     pairs = quads.where((F.col("p") == same) & (F.col("s") != F.col("o"))).select("s", "o")
-    ranked = lambda c: F.concat(F.when(F.col(c).startswith("_:"), "1").otherwise("0"), F.col(c))
+    # the closing bracket is left out, as it sorts after digits: <a/1> comes before <a/10>
+    ranked = lambda c: F.concat(F.when(F.col(c).startswith("_:"), "1").otherwise("0"), F.when(F.col(c).startswith("<"), F.expr(f"left({c}, length({c}) - 1)")).otherwise(F.col(c)))
+    term = lambda c: F.concat(F.expr(f"substring({c}, 2)"), F.when(F.col(c).startswith("0<"), ">").otherwise(""))
     parts = connected_components(pairs.select(ranked("s").alias("src"), ranked("o").alias("dst")))
-    names = materialize(parts.select(F.substring("node", 2, 1 << 20).alias("x"), F.substring("component", 2, 1 << 20).alias("y")).where("x != y"), "names")
+    names = materialize(parts.select(term("node").alias("x"), term("component").alias("y")).where("x != y"), "names")
     out = quads
     for c in ("s", "p", "o"):
         out = out.join(names.select(F.col("x").alias(c), F.col("y").alias("__y")), c, "left").withColumn(c, F.coalesce("__y", c)).drop("__y")

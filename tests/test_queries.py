@@ -39,6 +39,15 @@ def test_equals_sql(spark, sf_dir, con, name):
     assert got == want
 
 
+def test_equal_suppliers_keep_their_rows(spark, con, tmp_path):
+    """Smallest names as SQL finds them; suppliers of one nation that share a name stay two rows."""
+    path = f"{tmp_path}/supplier.parquet"
+    con.execute(f"copy (select i::bigint as s_suppkey, 'S' || i % 7 as s_name, (i % 3)::int as s_nationkey, 1.5::double as s_acctbal from range(1, 40) r(i)) to '{path}' (format parquet)")
+    want = con.execute(SQL["r18_equality"].replace("from supplier", f"from '{path}'")).fetchall()
+    got = QUERIES["r18_equality"](spark, str(tmp_path)).select("s", "name").collect()
+    assert len(want) == 39 and Counter(map(tuple, got)) == Counter(want)
+
+
 def test_entry_imports_without_corpus(monkeypatch):
     """The entry module works where the corpus folder is gone."""
     import builtins
