@@ -33,6 +33,13 @@ def test_closure_on_a_cycle(spark):
     assert facts(out, "p") == {(a, b) for a in "abc" for b in "abc"}
 
 
+def test_one_row_has_one_partition(spark):
+    """Built-ins on constants alone do not start Python workers for empty partitions."""
+    (r,) = R.rules_of(n3.parse(HEAD + '{ ?k crypto:keyLength 256. ("x" ?k) crypto:sign ?s } => { :a :b ?s }.'))
+    b = Matcher(Dataset(spark)).solve(r.body)
+    assert b.df.rdd.getNumPartitions() == 1 and b.df.count() == 1
+
+
 def test_two_routes_give_one_fact(spark):
     out = run(spark, ":m :color :green; :sounds :soft. {?x :color :green} => {?x :is :relaxing}. {?x :sounds :soft} => {?x :is :relaxing}.")
     assert facts(out, "is") == {("m", "relaxing")}
