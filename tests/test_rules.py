@@ -33,6 +33,46 @@ def test_closure_on_a_cycle(spark):
     assert facts(out, "p") == {(a, b) for a in "abc" for b in "abc"}
 
 
+def reached(links):
+    """All pairs (a, b) where links lead from a to b."""
+    found, ends = set(links), set(links)
+    while ends:
+        ends = {(a, d) for a, b in ends for c, d in links if b == c} - found
+        found |= ends
+    return found
+
+
+FOREST = {(i, i // 2) for i in range(2, 60)} | {(i, i + 1) for i in range(100, 120)}
+RINGS = {(i, i - i % 10 + (i + 1) % 10) for i in range(30)} | {(50, 3), (51, 50), (60, 60), (61, 60)}
+FORKS = {(1, 2), (1, 3), (2, 4), (3, 4), (4, 1)}
+
+
+@pytest.mark.parametrize("links", [FOREST, {(b, a) for a, b in FOREST}, RINGS, {(b, a) for a, b in RINGS}, FORKS], ids=["forest", "downwards", "rings", "backwards", "forks"])
+@pytest.mark.parametrize(
+    "rule", ["{?x :q ?y. ?y :q ?z} => {?x :q ?z}", "{?y :q ?z. ?x :q ?y} => {?x :q ?z}"]
+)
+def test_closure_has_every_pair(spark, links, rule):
+    text = " ".join(f":{a} :p :{b}." for a, b in links) + " {?x :p ?y} => {?x :q ?y}. " + rule + "."
+    out = run(spark, text)
+    assert facts(out, "q") == {(str(a), str(b)) for a, b in reached(links)} and facts(out, "p") == {(str(a), str(b)) for a, b in links}
+
+
+def test_forest_closes_without_rounds_of_pairs(spark, monkeypatch):
+    """Paths double, one row for each node: no table of derived pairs is written for the closing rule."""
+    tables = []
+    real = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name, *a: tables.append(name) or real(df, name, *a))
+    text = " ".join(f":{a} :p :{b}." for a, b in FOREST) + " {?x :p ?y} => {?x :q ?y}. {?x :q ?y. ?y :q ?z} => {?x :q ?z}."
+    assert facts(run(spark, text), "q") == {(str(a), str(b)) for a, b in reached(FOREST)}
+    assert tables.count("derived") == 1
+
+
+def test_long_paths_are_left_to_rounds(spark, monkeypatch):
+    monkeypatch.setattr("quadrille.operators.paths.all_next.__defaults__", (4,))
+    text = " ".join(f":{i} :p :{i + 1}." for i in range(20)) + " {?x :p ?y. ?y :p ?z} => {?x :p ?z}."
+    assert facts(run(spark, text), "p") == {(str(a), str(b)) for a in range(20) for b in range(a + 1, 21)}
+
+
 def test_one_row_has_one_partition(spark):
     """Built-ins on constants alone do not start Python workers for empty partitions."""
     (r,) = R.rules_of(n3.parse(HEAD + '{ ?k crypto:keyLength 256. ("x" ?k) crypto:sign ?s } => { :a :b ?s }.'))
