@@ -67,6 +67,23 @@ def test_forest_closes_without_rounds_of_pairs(spark, monkeypatch):
     assert tables.count("derived") == 1
 
 
+@pytest.mark.parametrize("rule", ["{?x :q ?y. ?y :p ?z} => {?x :q ?z}", "{?y :q ?z. ?x :p ?y} => {?x :q ?z}"])
+def test_linear_rule_on_rings_needs_few_rounds(spark, rule):
+    text = " ".join(f":{a} :p :{b}." for a, b in RINGS) + " {?x :p ?y} => {?x :q ?y}. " + rule + "."
+    assert facts(run(spark, text, max_rounds=5), "q") == {(str(a), str(b)) for a, b in reached(RINGS)}
+
+
+@pytest.mark.parametrize("rule", ["{?x :q ?y. ?y :p ?z} => {?x :q ?z}", "{?x :p ?y. ?y :q ?z} => {?x :q ?z}"])
+def test_linear_rule_concludes_from_its_own_facts_only(spark, rule):
+    """The closed predicate starts from fewer facts, or from more, than the steps."""
+    for more, want in ((":2 :q :3.", {(2, 3), (2, 4)} if rule.index(":q") < rule.index(":p") else {(2, 3), (1, 3)}), (":9 :q :1. {?x :p ?y} => {?x :q ?y}.", None)):
+        out = facts(run(spark, ":1 :p :2. :2 :p :3. :3 :p :4. " + more + " " + rule + "."), "q")
+        if want is None:
+            closed = reached({(1, 2), (2, 3), (3, 4)})
+            want = closed | {(9, 1)} | ({(9, b) for b in (2, 3, 4)} if rule.index(":q") < rule.index(":p") else set())
+        assert out == {(str(a), str(b)) for a, b in want}
+
+
 def test_long_paths_are_left_to_rounds(spark, monkeypatch):
     monkeypatch.setattr("quadrille.operators.paths.all_next.__defaults__", (4,))
     text = " ".join(f":{i} :p :{i + 1}." for i in range(20)) + " {?x :p ?y. ?y :p ?z} => {?x :p ?z}."
